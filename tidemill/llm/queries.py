@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.common import scratch
 from tidemill.llm.linededup import line_dedup
 from tidemill.llm.quality import MEASURES, quality
 from tidemill.llm.simhash import simhash_components
+from tidemill.llm.tokenbin import read_token_files, write_token_files
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -38,12 +41,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *MEASURES, "base_failed", "kept", "posterior")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return read_token_files(spark, folder)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op6_simhash": op6_simhash}
+    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
