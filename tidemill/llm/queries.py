@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import scratch
 from tidemill.llm.linededup import line_dedup
+from tidemill.llm.packing import pack
 from tidemill.llm.quality import MEASURES, quality
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokenbin import read_token_files, write_token_files
@@ -51,8 +52,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash}
+    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
