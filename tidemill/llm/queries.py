@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.common import scratch
 from tidemill.llm.linededup import line_dedup
+from tidemill.llm.mixing import mix
 from tidemill.llm.packing import pack
 from tidemill.llm.quality import MEASURES, quality
+from tidemill.llm.sharding import shard_by_bytes
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokenbin import read_token_files, write_token_files
 
@@ -42,6 +45,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *MEASURES, "base_failed", "kept", "posterior")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=24)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
@@ -52,13 +59,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources at equal weight: the rarer ones are repeated, a source with a third of all rows is thinned."""
+    mixed = mix(table(spark, sf_dir, "documents"), weights=None, growth=1.0, seed=0, keep=["doc_id", "source"])
+    return mixed.withColumn("rate", F.round("rate", 9))
+
+
+OP7_SQL = """
+WITH RECURSIVE s AS (SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY source),
+t AS (SELECT sum(bytes)::BIGINT AS all_bytes, count(*)::DOUBLE AS all_weights FROM s),
+r AS (SELECT source, least(16.0::DOUBLE, 1.0::DOUBLE * all_bytes * 1.0::DOUBLE / all_weights / bytes) AS rate FROM s, t),
+c(source, rate, k, term, upto) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+  UNION ALL SELECT source, rate, k + 1, term * rate / (k + 1), upto + term * rate / (k + 1) FROM c WHERE k < 63),
+u AS (SELECT doc_id, source, (('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM documents),
+n AS (SELECT u.doc_id, u.source, c.rate, count(*) FILTER (WHERE c.upto < u.x) AS copies
+  FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id, u.source, c.rate),
+e AS (SELECT doc_id, source, rate, copies, unnest(range(0, copies)) AS copy FROM n WHERE copies > 0)
+SELECT doc_id, source, round(rate, 9) AS rate, copies::BIGINT AS copies, copy::BIGINT AS copy, md5('order-0:' || doc_id::VARCHAR || ':' || copy::VARCHAR) AS shuffle_key FROM e
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op9_packing": op9_packing}
+    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op7_mixing": OP7_SQL}
