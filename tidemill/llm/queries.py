@@ -16,6 +16,7 @@ from tidemill.llm.quality import MEASURES, quality
 from tidemill.llm.sharding import shard_by_bytes
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokenbin import read_token_files, write_token_files
+from tidemill.llm.urlfilter import judge_urls
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -84,8 +85,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_packing": op9_packing}
+    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_packing": op9_packing, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
