@@ -17,6 +17,7 @@ from tidemill.llm.sharding import shard_by_bytes
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokenbin import read_token_files, write_token_files
 from tidemill.llm.urlfilter import judge_urls
+from tidemill.llm.warc import round_trip
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -81,6 +82,10 @@ SELECT doc_id, source, round(rate, 9) AS rate, copies::BIGINT AS copies, copy::B
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
@@ -90,7 +95,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_packing": op9_packing, "op10_url_filter": op10_url_filter}
+    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
