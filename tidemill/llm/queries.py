@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.ann import search
 from tidemill.llm.common import scratch
 from tidemill.llm.linededup import line_dedup
 from tidemill.llm.mixing import mix
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), digest_only=True)
 
@@ -95,7 +100,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_url_filter": op10_url_filter}
+    return {"op1_ann": op1_ann, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
