@@ -144,29 +144,26 @@ def line_dedup(documents: DataFrame, digest_only: bool = False, min_chars: int =
     all of them lose or keep it. Lines within the holder stay, repeats included.
     """
     drops = find_repeats(documents.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
-    columns = ["doc_id", "text"] if digest_only else documents.columns
-    source = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
-    joined = source.join(drops, F.col("_id") == F.col("drop_id"), "left").select(*[F.col(f"`{c}`") for c in columns if c != "text"], "_text", "drops")
-    others = [c for c in columns if c != "text"]
+    others = ["doc_id"] if digest_only else [c for c in documents.columns if c != "text"]
+    given = F.struct(*[F.col(f"`{c}`") for c in others]).alias("given")
+    joined = documents.select(given, "doc_id", "text").join(drops, F.col("doc_id") == F.col("drop_id"), "left").select("given", "text", "drops")
+    names = ["given", "text", "n_lines", "n_dropped", "kept_sha256"]
 
     def mapped(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            texts, lost = batch.column(len(others)), batch.column(len(others) + 1)
             totals, dropped, out = [], [], []
-            for text, pairs in zip(texts, lost):
+            for text, pairs in zip(batch.column(1), batch.column(2)):
                 whole = text.as_py()
                 gone = {(p["h1"] & (1 << 64) - 1, p["h2"] & (1 << 64) - 1) for p in pairs.as_py() or ()}
                 n, kept = _kept_lines(whole or "", gone, min_chars)
                 totals.append(n)
                 dropped.append(n - len(kept))
                 out.append(None if whole is None and not digest_only else "\n".join(kept))
-            if digest_only:
-                shas = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in out], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), shas], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-            else:
-                by_name = dict(zip(others, batch.columns)) | {"text": pa.array(out, pa.string())}
-                yield pa.RecordBatch.from_arrays([by_name[c] for c in columns], names=columns)
+            shas = [hashlib.sha256(x.encode()).hexdigest() if digest_only else None for x in out]
+            texts = pa.array([None] * len(out) if digest_only else out, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shas, pa.string())], names=names)
 
+    done = joined.mapInArrow(mapped, joined.select("given", "text").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string"))
     if digest_only:
-        return joined.mapInArrow(mapped, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return joined.mapInArrow(mapped, documents.schema)
+        return done.select("given.doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return done.select(*[F.col("text") if c == "text" else F.col(f"given.`{c}`") for c in documents.columns])

@@ -56,19 +56,27 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, growth: f
 
     ``documents`` has doc_id, text and source. Rows are ordered by shuffle_key, a hash of id, copy and seed, over
     all partitions, so the copies of a document and the documents of a source lie anywhere. Rows that share a
-    doc_id get the same number of copies; a null doc_id hashes as an empty string. A table of sources is joined
+    doc_id get the same number of copies; a null doc_id hashes as an empty string. A column
+    of ``documents`` that is named as one of those added gives way to it. A table of sources is joined
     by adaptive execution's choice on its measured size, so any number of sources is right.
     """
     columns = documents.columns if keep is None else keep
     rates = stored(poisson_steps(source_rates(documents, weights, growth)), "mixing-rates").withColumnRenamed("source", "_source")
-    kept = documents.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), F.col("source").alias("_of"))
+    kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("given"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), F.col("source").alias("_of"))
     joined = kept.join(rates, F.col("_of").eqNullSafe(F.col("_source")))
     uniform = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), F.col("_key")))
     counted = uniform.withColumn("copies", F.size(F.filter("steps", lambda s: s < F.col("_u"))).cast("long")).where("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.col("_key"), F.col("copy").cast("string")))
-    dealt = copied.withColumn("shuffle_key", key).select(*[F.col(f"`{c}`") for c in columns], "rate", "copies", "copy", "shuffle_key")
-    return _globally_shuffled(dealt)
+    dealt = _globally_shuffled(copied.withColumn("shuffle_key", key).select("given", "rate", "copies", "copy", "shuffle_key"))
+    added = ["rate", "copies", "copy", "shuffle_key"]
+    return dealt.select(*[F.col(f"given.`{c}`") for c in columns if c not in added], *added)
+
+
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, seed: int = 0) -> DataFrame:
+    """``mix`` with the columns of ``documents`` alone: a document stands in it as often as it has copies."""
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("given"), "doc_id", "text", "source")
+    return mix(packed, weights, growth, seed, keep=["given"]).select("given.*")
 
 
 def _globally_shuffled(copies: DataFrame) -> DataFrame:

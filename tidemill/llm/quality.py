@@ -39,11 +39,15 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``MEASURES`` and base_failed, and what the rules need: n_lines, n_ended (lines ending in . ! or ?), n_digits, n_distinct."""
-    given = df.columns
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    """``given`` (a struct of the columns of ``df``), ``MEASURES`` and base_failed, and what the rules need.
+
+    That is n_lines (with a word), n_ended (of these, ending in . ! or ?), n_digits and n_distinct (words).
+    """
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given"))
+    given, text = ["given"], f"given.`{text}`"
+    t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    one = df.withColumns({"_t": t, "_words": words_of(F.col(f"`{text}`")), "_lines": lines})
+    one = df.withColumns({"_t": t, "_words": words_of(F.col(text)), "_lines": lines})
     two = one.select(
         *[F.col(f"`{c}`") for c in given],
         F.size("_words").alias("_n"),
@@ -151,17 +155,36 @@ def fit(votes: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 15) ->
     return model
 
 
-def quality(documents: DataFrame, keep: list[str] | None = None, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def quality(documents: DataFrame, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``documents``' columns (or ``keep`` of them), ``MEASURES``, base_failed, posterior and kept.
 
-    kept is false where base_failed, else whether the posterior reaches ``threshold``. The model is fitted on
-    the rows that pass the base. Null and empty texts have no words, so they fail the base; rows with a null
-    doc_id and repeated rows are rows like others. Columns of ``documents`` must not be named as those added.
+    ``documents`` has text. kept is false where base_failed, else whether the posterior reaches ``threshold``. The
+    model is fitted on the rows that pass the base. Null and empty texts have no words, so they fail the base;
+    rows with a null doc_id and repeated rows are rows like others. A column of ``documents`` that is named as one
+    of those added gives way to it.
     """
     columns = documents.columns if keep is None else keep
-    source = documents.select(*[F.col(f"`{c}`") for c in columns], *([F.col(f"`{text}`")] if text not in columns else []))
-    measured = with_measures(source, text)
-    rows = stored(measured.select(*[F.col(f"`{c}`") for c in columns], *MEASURES, "base_failed", *[r.vote() for r in RULES]), "quality-votes")
+    judged = _judged(documents.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, "text"])]), [F.col(f"given.`{c}`").alias(f"_g{i}") for i, c in enumerate(columns)], threshold)
+    added = [*MEASURES, "base_failed", "posterior", "kept"]
+    return judged.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(columns) if c not in added], *added)
+
+
+def _judged(texts: DataFrame, kept: list[Column], threshold: float) -> DataFrame:
+    """Measures, votes and verdict of each row, with the columns ``kept`` of its ``given``; votes are stored once."""
+    rows = stored(with_measures(texts).select(*kept, *MEASURES, "base_failed", *[r.vote() for r in RULES]), "quality-votes")
     model = fit(rows.where("NOT base_failed"))
-    judged = rows.withColumn("posterior", model.posterior())
-    return judged.select(*[F.col(f"`{c}`") for c in columns], *MEASURES, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"))
+    return rows.withColumn("posterior", model.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def quality_filter(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that ``quality`` keeps, with their columns.
+
+    The verdict depends on the text alone, so the rejected texts are known by two hashes (128 bits) and taken out
+    by an anti-join: measures are computed once and no text is stored a second time.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
+    judged = _judged(documents.select("text"), [F.xxhash64(F.coalesce("given.text", F.lit(""))).alias("_h1"), F.xxhash64(F.lit(7), F.coalesce("given.text", F.lit(""))).alias("_h2")], threshold)
+    rejected = stored(judged.where("NOT kept").select("_h1", "_h2").distinct(), "quality-rejected")
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("given"), *[h.alias(k) for k, h in hashes.items()])
+    return packed.join(rejected, ["_h1", "_h2"], "left_anti").select("given.*")
