@@ -11,15 +11,26 @@ import itertools
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,]?)")
-_SPACED = re.compile(rf"(\n?)( ?[{_LETTERS}]+)([.,]?)")
+#: ASCII punctuation but the apostrophe, which starts contractions.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)")
+_SPACED = re.compile(rf"(\n?)( ?[{_LETTERS}]+)([{_MARKS}]*)")
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts of one tokenizer file to packed little-endian ids, each text's own followed by ``end``.
 
@@ -27,7 +38,7 @@ class Encoder:
     it starts anew, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, end: int | None = None, remember: int = 500_000):
+    def __init__(self, path: str, end: int | None = None, remember: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
@@ -40,13 +51,9 @@ class Encoder:
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.remember, self.memory = remember, {}
         self.kind = self._kind(spec)
-        if self.kind == "word":
-            flags = np.zeros(size, bool)
-            for token, i in spec["model"]["vocab"].items():
-                flags[i] = token.endswith(spec["model"]["end_of_word_suffix"])
-            self.is_end = flags
-        elif self.kind == "byte":
-            self.line_end = spec["model"]["vocab"]["Ċ"]
+        self.model = self.tokenizer.model
+        self.pack = array("H" if self.width == 2 else "I")
+        self.letters, self.by_bytes = _byte_letters(), "ByteLevel" in json.dumps(spec.get("pre_tokenizer"))
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -60,26 +67,18 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words, encoded as one text and cut again where each ends."""
-        if not words:
-            return []
-        sep = " " if self.kind == "word" else "\n"
-        ids = np.array(self.tokenizer.encode_batch_fast([sep.join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        if self.kind == "word":
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-        else:
-            cuts = np.flatnonzero(ids == self.line_end).tolist()
-            spans = list(zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
-        if len(spans) != len(words):
-            return self._ids(words)
-        flat, w = ids.tobytes(), self.width
-        return [flat[a * w : b * w] for a, b in spans]
+    def _word(self, word: str) -> bytes:
+        """Ids of a plain word, which is one piece to the vocabulary's model; byte-level ones spell bytes as letters."""
+        if self.by_bytes:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.pack.typecode, [t.id for t in self.model.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Adds pieces to the memory: those of a plain word and a full stop or comma by their parts, the rest encoded alone."""
-        made, rest, bases = {}, [], set()
+        """Adds pieces to the memory: those of a plain word and marks after it by their parts, the rest encoded alone."""
+        made, rest, bases, marks = {}, [], set(), {"\n"}
         memory = self.memory
         for piece in pieces:
             if self.kind == "byte" and piece[-1].isspace() and piece[-1] not in " \n\t\r":
@@ -94,15 +93,14 @@ class Encoder:
             if parts:
                 made[piece] = parts
                 bases.add(parts[-2])
+                marks.add(parts[-1])
             else:
                 rest.append(piece)
-        alone = [x for x in (".", ",", "\n") if x not in memory]
-        rest += alone
-        if self.kind == "word" and "" in pieces:
-            rest = [x for x in rest if x]
+        rest = [x for x in {*rest, *marks} if x and x not in memory]
         memory.update(zip(rest, self._ids(rest)))
-        new = [b for b in bases if b not in memory]
-        memory.update(zip(new, self._many(new)))
+        for base in bases:
+            if base not in memory:
+                memory[base] = self._word(base)
         memory[""] = b""
         for piece, parts in made.items():
             memory[piece] = b"".join([memory[p] for p in parts])
