@@ -176,27 +176,20 @@ def test_quality_model_against_plain_em(spark):
         rows.append([1 if rng.random() < (0.9 if good else 0.5) else -1 if rng.random() < (0.05 if good else 0.8) else 0 for _ in names])
     model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)))
     votes = np.array(rows)
-    prior, rates = 0.9, {n: dict(quality.START) for n in names}
-    for _ in range(15):
-        log = np.full(len(votes), math.log(prior / (1 - prior)))
-        for j, n in enumerate(names):
-            (gp, gm), (bp, bm) = rates[n]["good"], rates[n]["bad"]
-            log += np.select([votes[:, j] == 1, votes[:, j] == -1], [math.log(gp / bp), math.log(gm / bm)], math.log((1 - gp - gm) / (1 - bp - bm)))
-        p = 1 / (1 + np.exp(-log))
-        new = min(0.95, max(0.5, p.mean()))
-        for j, n in enumerate(names):
-            share = lambda w, v: max(0.001, w[votes[:, j] == v].sum() / w.sum())  # noqa: B023, E731
-            gp, gm, bp, bm = share(p, 1), share(p, -1), share(1 - p, 1), share(1 - p, -1)
-            scale = lambda a, b: (a * min(1, 0.999 / (a + b)), b * min(1, 0.999 / (a + b)))
-            (gp, gm), (bp, bm) = scale(gp, gm), scale(bp, bm)
-            rates[n] = {"good": scale(max(gp, bp), min(gm, bm, quality.MOST_FALSE)), "bad": scale(min(gp, bp), max(gm, bm))}
-        done, prior = abs(new - prior) < 1e-4, new
+    prior, right = quality.START[0], np.array([quality.START[1:]] * len(names))
+    for _ in range(25):
+        plus, minus = np.log(right[:, 0] / (1 - right[:, 1])), np.log((1 - right[:, 0]) / right[:, 1])
+        p = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + (votes == 1) @ plus + (votes == -1) @ minus)))
+        share = lambda w, v: ((votes == v) * w[:, None]).sum(axis=0) / ((votes != 0) * w[:, None]).sum(axis=0)
+        new = np.stack([np.clip(share(p, 1), *quality.GOOD_RIGHT), np.clip(share(1 - p, -1), *quality.BAD_RIGHT)], axis=1)
+        new_prior = float(np.clip(p.mean(), *quality.PRIOR))
+        done = max(abs(new_prior - prior), np.abs(new - right).max()) < 1e-4
+        prior, right = new_prior, new
         if done:
             break
-    assert abs(model.prior - prior) < 1e-6
-    for n in names:
-        assert np.allclose(model.rates[n]["good"], rates[n]["good"]) and np.allclose(model.rates[n]["bad"], rates[n]["bad"])
-    assert quality.fit(spark.createDataFrame([], ", ".join(f"{n} int" for n in names))).prior == 0.9
+    assert abs(model.prior - prior) < 1e-9
+    assert np.allclose([model.accuracy[n] for n in names], right)
+    assert quality.fit(spark.createDataFrame([], ", ".join(f"{n} int" for n in names))).prior == quality.START[0]
 
 
 def test_quality_on_labels(spark):
@@ -205,7 +198,7 @@ def test_quality_on_labels(spark):
     judged = quality.quality(spark.read.parquet(f"{d}/documents.parquet"), keep=["doc_id"])
     j = judged.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     kept = {r[0]: r[1] for r in j}
-    assert kept[1] > 0.95 and kept[0] < 0.2
+    assert kept[1] > 0.95 and kept[0] < 0.1
 
 
 # 4

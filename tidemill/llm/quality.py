@@ -7,6 +7,7 @@ one row of parameters a round.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,77 +81,62 @@ class Rule:
 
 
 #: Bounds are on ratios, so they hold for any length; the measures are integers, and products replace divisions.
+#: No two rules look at the same fault, as the model takes votes to be independent.
 RULES = (
     Rule("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "100 * n_symbols <= n_words", "10 * n_symbols >= n_words"),
-    Rule("dup_lines", "10 * n_dup_lines <= n_lines", "3 * n_dup_lines > n_lines"),
-    Rule("repeats", "10 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
-    Rule("length", "n_words >= 50", "n_words < 30"),
+    Rule("repetition", "10 * n_dup_lines <= n_lines AND 10 * n_repeat_words <= n_words", "3 * n_dup_lines > n_lines AND n_dup_lines >= 3 OR 4 * n_repeat_words > n_words"),
+    Rule("length", "n_words >= 50", "n_words < 25"),
     Rule("digits", "20 * n_digits <= word_chars", "5 * n_digits > word_chars"),
     Rule("line_ends", "2 * n_ended >= n_lines", "10 * n_ended < n_lines"),
-    Rule("variety", "3 * n_distinct >= n_words OR n_distinct >= 300", "10 * n_distinct < n_words AND n_distinct < 100"),
+    Rule("variety", "3 * n_distinct >= n_words OR n_distinct >= 300", "5 * n_distinct < n_words AND n_distinct < 300"),
 )
 
-
-#: What a rule says of a good and of a bad text: the probabilities of +1 and of -1; the rest is abstention.
-START = {"good": (0.7, 0.05), "bad": (0.4, 0.3)}
-LEAST = 0.001
-#: A sound rule objects to at most this share of good texts; else every junk that trips one rule alone would pass as noise.
-MOST_FALSE = 0.02
+#: To begin with: share of good texts, and how often a rule that votes is right about good and about bad ones.
+START = (0.9, 0.98, 0.3)
+#: A sound rule objects to at most one good text in a hundred, and finds at least one bad one in ten of those it judges.
+GOOD_RIGHT, BAD_RIGHT = (0.99, 0.999), (0.1, 0.999)
+PRIOR = (0.5, 0.95)
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """prior: share of good texts; rates: for each vote column and class, P(+1) and P(-1)."""
+    """prior: share of good texts; accuracy: for each vote column, P(+1 | good) and P(-1 | bad) where the rule votes."""
 
     prior: float
-    rates: dict[str, dict[str, tuple[float, float]]]
+    accuracy: dict[str, tuple[float, float]]
 
     def posterior(self) -> Column:
-        """Probability that a row with these vote columns is good: votes are independent, given the class."""
+        """Probability that a row with these vote columns is good; votes are independent, abstention says nothing."""
         odds = F.log(F.lit(self.prior) / F.lit(1 - self.prior))
-        for name, rate in self.rates.items():
-            (gp, gm), (bp, bm) = rate["good"], rate["bad"]
-            rest = F.lit((1 - gp - gm) / (1 - bp - bm))
-            odds = odds + F.log(F.when(F.col(name) == 1, F.lit(gp / bp)).when(F.col(name) == -1, F.lit(gm / bm)).otherwise(rest))
+        for name, (good, bad) in self.accuracy.items():
+            odds = odds + F.when(F.col(name) == 1, F.lit(math.log(good / (1 - bad)))).when(F.col(name) == -1, F.lit(math.log((1 - good) / bad))).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def _rates(plus: float, minus: float, total: float) -> tuple[float, float]:
-    """Shares of +1 and -1, kept inside (0, 1) and with something left for abstention."""
-    p, m = (max(LEAST, (x or 0.0) / total) if total else LEAST for x in (plus, minus))
-    scale = min(1.0, (1 - LEAST) / (p + m))
-    return p * scale, m * scale
+def _within(x: float | None, bounds: tuple[float, float], old: float) -> float:
+    return old if x is None else min(bounds[1], max(bounds[0], x))
 
 
-def fit(votes: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 15) -> QualityModel:
+def fit(votes: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 25, settled: float = 1e-4) -> QualityModel:
     """Expectation-maximisation over all rows of ``votes``, by their vote patterns.
 
-    Each rule has its own rates of +1 and -1 in either class, so one that seldom objects weighs much when it
-    does, and its silence weighs little. A rule never speaks against its own sense: its -1 is at least as
-    frequent in bad texts as in good ones (and in these at most ``MOST_FALSE``), and its +1 at least as
-    frequent in good ones. The prior stays
-    between 0.5 and 0.95. An empty table keeps the starting values.
+    Each round takes the posterior of every pattern and from it the prior and each rule's two accuracies, kept
+    within their bounds. It ends when none moves by over ``settled``. A rule that never votes, and an empty
+    table, keep the starting values.
     """
     names = [f"v_{r.name}" for r in rules]
     patterns = stored(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-patterns")
-    model = QualityModel(0.9, {v: dict(START) for v in names})
+    model = QualityModel(START[0], {v: START[1:] for v in names})
     for _ in range(rounds):
         weighed = patterns.withColumn("p", model.posterior()).withColumns({"good": F.col("n") * F.col("p"), "bad": F.col("n") * (1 - F.col("p"))})
-        sums = [F.sum(F.when(F.col(v) == vote, F.col(kind))) for v in names for kind in ("good", "bad") for vote in (1, -1)]
-        row = weighed.agg(F.sum("good"), F.sum("bad"), *sums).first()
-        good, bad = row[0], row[1]
-        if not good or not bad:
-            break
-        rates, parts = {}, iter(row[2:])
-        for v in names:
-            (gp, gm), (bp, bm) = _rates(next(parts), next(parts), good), _rates(next(parts), next(parts), bad)
-            rates[v] = {"good": (max(gp, bp), min(gm, bm, MOST_FALSE)), "bad": (min(gp, bp), max(gm, bm))}
-            rates[v] = {kind: _rates(p, m, 1.0) for kind, (p, m) in rates[v].items()}
-        new = QualityModel(min(0.95, max(0.5, good / (good + bad))), rates)
-        moved = abs(new.prior - model.prior)
+        share = lambda v, vote, kind: F.try_divide(F.sum(F.when(F.col(v) == vote, F.col(kind)).otherwise(0.0)), F.sum(F.when(F.col(v) != 0, F.col(kind)).otherwise(0.0)))
+        row = weighed.agg(F.try_divide(F.sum("good"), F.sum("n")), *[x for v in names for x in (share(v, 1, "good"), share(v, -1, "bad"))]).first()
+        found = {v: (_within(row[1 + 2 * i], GOOD_RIGHT, model.accuracy[v][0]), _within(row[2 + 2 * i], BAD_RIGHT, model.accuracy[v][1])) for i, v in enumerate(names)}
+        new = QualityModel(_within(row[0], PRIOR, model.prior), found)
+        moved = max(abs(new.prior - model.prior), *(abs(x - y) for v in names for x, y in zip(new.accuracy[v], model.accuracy[v])))
         model = new
-        if moved < 1e-4:
+        if moved < settled:
             break
     return model
 
