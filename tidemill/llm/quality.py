@@ -165,12 +165,6 @@ def _judged(texts: DataFrame, kept: list[Column], threshold: float) -> DataFrame
 def quality_filter(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that ``quality`` keeps, with their columns.
 
-    The verdict depends on the text alone, so the rejected texts are known by two hashes (128 bits) and taken out
-    by an anti-join: measures are computed once and no text is stored a second time.
+    Votes are stored beside the rows, so texts are measured once and nothing is shuffled.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
-    judged = _judged(documents.select("text"), [F.xxhash64(F.coalesce("given.text", F.lit(""))).alias("_h1"), F.xxhash64(F.lit(7), F.coalesce("given.text", F.lit(""))).alias("_h2")], threshold)
-    rejected = stored(judged.where("NOT kept").select("_h1", "_h2").distinct(), "quality-rejected")
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("given"), *[h.alias(k) for k, h in hashes.items()])
-    return packed.join(rejected, ["_h1", "_h2"], "left_anti").select("given.*")
+    return _judged(documents, [F.col("given")], threshold).where("kept").select("given.*")
