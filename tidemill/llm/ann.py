@@ -108,9 +108,15 @@ def index(vectors: DataFrame, model) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(mapped, "vec_id long, cell int, code binary")
 
 
+def _bins(counts: np.ndarray) -> np.ndarray:
+    """Bin of each cell: cells follow one another into bins of about ``ROWS`` rows, so that small cells share one."""
+    return (np.maximum(np.cumsum(counts), 1) - 1) // ROWS
+
+
 def _probes(queries: DataFrame, model, counts: np.ndarray, probe: float, least: int) -> DataFrame:
-    """(query_id, cell, vector): nearest cells first, a share ``probe`` of them and until they hold ``least`` vectors."""
+    """(query_id, bin, cells, vector): the nearest cells, a share ``probe`` of them and until they hold ``least`` vectors."""
     most = max(1, -(-int(len(counts) * probe * 1000) // 1000))
+    bins = _bins(counts)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = model.value.centroids
@@ -122,31 +128,40 @@ def _probes(queries: DataFrame, model, counts: np.ndarray, probe: float, least:
                 order = np.argsort(((centroids - point) ** 2).sum(axis=1), kind="stable")
                 held = np.cumsum(counts[order])
                 enough = int(np.searchsorted(held, least)) + 1
-                out += [(query, int(c), point) for c in order[: max(most, enough)] if counts[c]]
+                probed = order[: max(most, enough)]
+                probed = probed[counts[probed] > 0]
+                out += [(query, int(n), probed[bins[probed] == n].tolist(), point) for n in np.unique(bins[probed])]
             if out:
-                q, c, v = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int32()), pa.array([x.tolist() for x in v], pa.list_(pa.float32()))], names=["query_id", "cell", "vector"])
+                q, n, c, v = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.list_(pa.int32())), pa.array([x.tolist() for x in v], pa.list_(pa.float32()))], names=["query_id", "bin", "cells", "vector"])
 
-    return queries.mapInArrow(mapped, "query_id long, cell int, vector array<float>")
+    return queries.mapInArrow(mapped, "query_id long, bin int, cells array<int>, vector array<float>")
 
 
 def _scan(model, refine: int):
-    """Ranks a block of a cell's rows for a block of queries by asymmetric distance."""
+    """Ranks a block of a bin's rows for a block of queries by asymmetric distance: ``refine`` a query over all its cells."""
 
     def ranked(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out_q, out_v, out_d = [], [], []
         if rows.num_rows and asked.num_rows:
-            ids = rows.column("vec_id").to_numpy()
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.intp)
+            by_cell = np.argsort(rows.column("cell").to_numpy(), kind="stable")
+            cells, ids = rows.column("cell").to_numpy()[by_cell], rows.column("vec_id").to_numpy()[by_cell]
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by_cell].astype(np.intp)
             at = np.arange(codes.shape[1])
             vectors = _matrix(asked.column("vector").combine_chunks())
-            for query, cell, vector in zip(asked.column("query_id").to_pylist(), asked.column("cell").to_pylist(), vectors):
-                table = model.value.tables(vector, cell)
-                distance = table[at, codes].sum(axis=1)
-                best = np.lexsort((ids, distance))
-                best = best[ids[best] != query][:refine]
+            for query, probed, vector in zip(asked.column("query_id").to_pylist(), asked.column("cells").to_pylist(), vectors):
+                spans = [(c, *np.searchsorted(cells, [c, c + 1])) for c in probed]
+                found = [(ids[a:b], model.value.tables(vector, c)[at, codes[a:b]].sum(axis=1)) for c, a, b in spans if a < b]
+                if not found:
+                    continue
+                near, distance = (np.concatenate(x) for x in zip(*found))
+                if len(near) > refine + 1:  # ties at the border stay for the exact order below
+                    inside = distance <= np.partition(distance, refine)[refine]
+                    near, distance = near[inside], distance[inside]
+                best = np.lexsort((near, distance))
+                best = best[near[best] != query][:refine]
                 out_q.append(np.full(len(best), query))
-                out_v.append(ids[best])
+                out_v.append(near[best])
                 out_d.append(distance[best])
         joined = lambda xs, kind: pa.array(np.concatenate(xs) if xs else [], kind)
         return pa.table({"query_id": joined(out_q, pa.int64()), "vec_id": joined(out_v, pa.int64()), "adc": joined(out_d, pa.float32())})
@@ -154,20 +169,24 @@ def _scan(model, refine: int):
     return ranked
 
 
-def candidates(filed: DataFrame, asked: DataFrame, model, counts: dict[int, int], refine: int) -> DataFrame:
+def candidates(filed: DataFrame, asked: DataFrame, model, counts: np.ndarray, refine: int) -> DataFrame:
     """(query_id, vec_id): for each query the ``refine`` rows of its probed cells that are nearest by table.
 
-    A cell is dealt to tasks in blocks of about ``ROWS`` rows and ``QUERIES`` queries, so neither a cell with a
-    third of all rows nor one that most queries probe fills a task.
+    Cells share bins of about ``ROWS`` rows, and a bin is dealt to tasks in blocks of about ``ROWS`` rows and
+    ``QUERIES`` queries, so neither a cell with a third of all rows nor one that most queries probe fills a
+    task, and a query gets ``refine`` rows a block rather than a cell.
     """
     spark = filed.sparkSession
-    wanted = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
-    sizes = spark.createDataFrame([(c, -(-n // ROWS), -(-wanted.get(c, 1) // QUERIES)) for c, n in counts.items()], "cell int, shards int, blocks int")
+    bins = _bins(counts)
+    rows = np.bincount(bins, weights=counts).astype(int)
+    wanted = {r["bin"]: r["count"] for r in asked.groupBy("bin").count().collect()}
+    of_cell = spark.createDataFrame([(i, n) for i, n in enumerate(bins.tolist())], "cell int, bin int")
+    sizes = spark.createDataFrame([(n, -(-int(k) // ROWS), -(-wanted.get(n, 1) // QUERIES)) for n, k in enumerate(rows) if k], "bin int, shards int, blocks int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).withColumn("block", every("blocks"))
-    right = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("shard", every("shards"))
-    keys = ["cell", "shard", "block"]
-    found = left.select(*keys, "vec_id", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "vector").groupBy(*keys)).applyInArrow(_scan(model, refine), "query_id long, vec_id long, adc float")
+    left = filed.join(F.broadcast(of_cell), "cell").join(F.broadcast(sizes), "bin").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).withColumn("block", every("blocks"))
+    right = asked.join(F.broadcast(sizes), "bin").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("shard", every("shards"))
+    keys = ["bin", "shard", "block"]
+    found = left.select(*keys, "cell", "vec_id", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cells", "vector").groupBy(*keys)).applyInArrow(_scan(model, refine), "query_id long, vec_id long, adc float")
     order = Window.partitionBy("query_id").orderBy("adc", "vec_id")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= refine).select("query_id", "vec_id")
 
@@ -193,7 +212,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, probe: float =
     counts = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}
     by_cell = np.array([counts.get(i, 0) for i in range(len(model.value.centroids))])
     asked = stored(_probes(vectors.where("asks").select("vec_id", "embedding"), model, by_cell, probe, refine + 1), "ann-probes")
-    near = candidates(filed, asked, model, counts, refine)
+    near = candidates(filed, asked, model, by_cell, refine)
     original = vectors.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v"))
     with_query = near.join(original.withColumnsRenamed({"_id": "_q", "_v": "_qv"}), F.col("query_id") == F.col("_q"))
     paired = with_query.join(original, F.col("vec_id") == F.col("_id"))
