@@ -68,7 +68,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources at equal weight: the rarer ones are repeated, a source with a third of all rows is thinned."""
-    mixed = mix(table(spark, sf_dir, "documents"), weights=None, growth=1.0, seed=0, keep=["doc_id", "source"])
+    mixed = mix(table(spark, sf_dir, "documents"), weights=None, growth=1.0, seed=0, keep=["doc_id", "source"], most_rate=None)
     return mixed.withColumn("rate", F.round("rate", 9))
 
 
