@@ -1,8 +1,9 @@
 """Nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is then filed under its nearest
-centroid with the codes of its residual. A query probes its nearest cells, ranks their codes by asymmetric
-distance tables, and the best are reranked by exact distances on the original vectors.
+centroid with the codes of its residual and their error. A query probes its nearest cells; asymmetric distance
+tables, less the errors, bound the distances of their rows from below, and every row whose bound does not exceed
+the exact distance of the k-th is ranked by exact distances on the original vectors.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarra
         centroids[filled] = sums[filled] / counts[filled, None]
         if not filled.all():
             far = np.argsort(-((points - centroids[own]) ** 2).sum(axis=1))[: (~filled).sum()]
-            centroids[~filled][: len(far)] = points[far]
+            centroids[np.flatnonzero(~filled)[: len(far)]] = points[far]
     return centroids
 
 
@@ -63,11 +64,13 @@ class Model:
     books: list[np.ndarray]
     edges: list[int]
 
-    def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and how far each point lies from what its codes stand for."""
         cells = _nearest(points, self.centroids)
         rest = points - self.centroids[cells]
         codes = [_nearest(rest[:, a:b], book).astype(np.uint8) for book, a, b in zip(self.books, self.edges, self.edges[1:])]
-        return cells, np.stack(codes, axis=1)
+        coded = np.concatenate([book[c] for book, c in zip(self.books, codes)], axis=1)
+        return cells, np.stack(codes, axis=1), np.sqrt(((rest - coded) ** 2).sum(axis=1))
 
     def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
         """parts x 256 squared distances from the query's residual to every code."""
@@ -97,15 +100,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def index(vectors: DataFrame, model) -> DataFrame:
-    """(vec_id, cell, code) of every vector; ``model`` is a broadcast Model."""
+    """(vec_id, cell, code, error, embedding) of every vector; ``model`` is a broadcast Model."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells, codes = model.value.encode(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "cell", "code"])
+                cells, codes, errors = model.value.encode(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float32()), batch.column(1)], names=["vec_id", "cell", "code", "error", "embedding"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(mapped, "vec_id long, cell int, code binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(mapped, "vec_id long, cell int, code binary, error float, embedding array<float>")
 
 
 def _bins(counts: np.ndarray) -> np.ndarray:
@@ -138,8 +141,16 @@ def _probes(queries: DataFrame, model, counts: np.ndarray, probe: float, least:
     return queries.mapInArrow(mapped, "query_id long, bin int, cells array<int>, vector array<float>")
 
 
-def _scan(model, refine: int):
-    """Ranks a block of a bin's rows for a block of queries by asymmetric distance: ``refine`` a query over all its cells."""
+def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double, components added in order."""
+    total = np.zeros(len(vectors))
+    for j in range(vectors.shape[1]):
+        total += (vectors[:, j].astype(np.float64) - np.float64(query[j])) ** 2
+    return np.sqrt(total)
+
+
+def _scan(model, k: int):
+    """The ``k`` nearest rows, by exact distance, of a block of a bin's rows for a block of queries, over each one's cells."""
 
     def ranked(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out_q, out_v, out_d = [], [], []
@@ -147,48 +158,54 @@ def _scan(model, refine: int):
             by_cell = np.argsort(rows.column("cell").to_numpy(), kind="stable")
             cells, ids = rows.column("cell").to_numpy()[by_cell], rows.column("vec_id").to_numpy()[by_cell]
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by_cell].astype(np.intp)
+            errors = rows.column("error").to_numpy()[by_cell].astype(np.float64)
+            originals = _matrix(rows.column("embedding").combine_chunks())[by_cell]
             at = np.arange(codes.shape[1])
             vectors = _matrix(asked.column("vector").combine_chunks())
+            longest = np.sqrt((originals.astype(np.float64) ** 2).sum(axis=1).max())
             for query, probed, vector in zip(asked.column("query_id").to_pylist(), asked.column("cells").to_pylist(), vectors):
                 spans = [(c, *np.searchsorted(cells, [c, c + 1])) for c in probed]
-                found = [(ids[a:b], model.value.tables(vector, c)[at, codes[a:b]].sum(axis=1)) for c, a, b in spans if a < b]
+                found = [(np.arange(a, b), model.value.tables(vector, c)[at, codes[a:b]].sum(axis=1)) for c, a, b in spans if a < b]
                 if not found:
                     continue
-                near, distance = (np.concatenate(x) for x in zip(*found))
-                if len(near) > refine + 1:  # ties at the border stay for the exact order below
-                    inside = distance <= np.partition(distance, refine)[refine]
-                    near, distance = near[inside], distance[inside]
-                best = np.lexsort((near, distance))
-                best = best[near[best] != query][:refine]
+                near, table = (np.concatenate(x) for x in zip(*found))
+                other = ids[near] != query
+                near, table = near[other], np.sqrt(table[other].astype(np.float64))
+                if len(near) > k:
+                    reach = _exact(originals[near[np.argpartition(table, k - 1)[:k]]], vector).max()
+                    slack = 1e-4 * (longest + np.linalg.norm(vector.astype(np.float64)))  # for sums in single precision
+                    near = near[table - errors[near] <= reach + slack]
+                distance = _exact(originals[near], vector)
+                best = np.lexsort((ids[near], distance))[:k]
                 out_q.append(np.full(len(best), query))
-                out_v.append(near[best])
+                out_v.append(ids[near[best]])
                 out_d.append(distance[best])
         joined = lambda xs, kind: pa.array(np.concatenate(xs) if xs else [], kind)
-        return pa.table({"query_id": joined(out_q, pa.int64()), "vec_id": joined(out_v, pa.int64()), "adc": joined(out_d, pa.float32())})
+        return pa.table({"query_id": joined(out_q, pa.int64()), "vec_id": joined(out_v, pa.int64()), "score": joined(out_d, pa.float64())})
 
     return ranked
 
 
-def candidates(filed: DataFrame, asked: DataFrame, model, counts: np.ndarray, refine: int) -> DataFrame:
-    """(query_id, vec_id): for each query the ``refine`` rows of its probed cells that are nearest by table.
+def candidates(filed: DataFrame, asked: DataFrame, model, counts: np.ndarray, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query the ``k`` rows of its probed cells that are nearest, ties to the smaller vec_id.
 
     Cells share bins of about ``ROWS`` rows, and a bin is dealt to tasks in blocks of about ``ROWS`` rows and
     ``QUERIES`` queries, so neither a cell with a third of all rows nor one that most queries probe fills a
-    task, and a query gets ``refine`` rows a block rather than a cell.
+    task, and a query gets ``k`` rows a block rather than a cell.
     """
     spark = filed.sparkSession
     bins = _bins(counts)
     rows = np.bincount(bins, weights=counts).astype(int)
     wanted = {r["bin"]: r["count"] for r in asked.groupBy("bin").count().collect()}
     of_cell = spark.createDataFrame([(i, n) for i, n in enumerate(bins.tolist())], "cell int, bin int")
-    sizes = spark.createDataFrame([(n, -(-int(k) // ROWS), -(-wanted.get(n, 1) // QUERIES)) for n, k in enumerate(rows) if k], "bin int, shards int, blocks int")
+    sizes = spark.createDataFrame([(n, -(-int(held) // ROWS), -(-wanted.get(n, 1) // QUERIES)) for n, held in enumerate(rows) if held], "bin int, shards int, blocks int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = filed.join(F.broadcast(of_cell), "cell").join(F.broadcast(sizes), "bin").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).withColumn("block", every("blocks"))
     right = asked.join(F.broadcast(sizes), "bin").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("shard", every("shards"))
     keys = ["bin", "shard", "block"]
-    found = left.select(*keys, "cell", "vec_id", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cells", "vector").groupBy(*keys)).applyInArrow(_scan(model, refine), "query_id long, vec_id long, adc float")
-    order = Window.partitionBy("query_id").orderBy("adc", "vec_id")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= refine).select("query_id", "vec_id")
+    found = left.select(*keys, "cell", "vec_id", "code", "error", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cells", "vector").groupBy(*keys)).applyInArrow(_scan(model, k), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 10, probe: float = 0.7, refine: int = 200) -> DataFrame:
@@ -197,7 +214,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, probe: float =
     ``embeddings`` has vec_id and embedding. Queries are its rows where ``is_query`` holds; candidates are all
     other rows. Ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite components
     take no part, nor do rows with a null vec_id or of another length than most. Rows that share a vec_id count
-    once (one of them). A query gets fewer than ``k`` only if there are no more candidates.
+    once (one of them). Within the probed cells, a share ``probe`` of all and until they hold over ``refine`` rows, the
+    result is exact. A query gets fewer than ``k`` only if there are no more candidates.
     """
     spark = embeddings.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -212,11 +230,4 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, probe: float =
     counts = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}
     by_cell = np.array([counts.get(i, 0) for i in range(len(model.value.centroids))])
     asked = stored(_probes(vectors.where("asks").select("vec_id", "embedding"), model, by_cell, probe, refine + 1), "ann-probes")
-    near = candidates(filed, asked, model, by_cell, refine)
-    original = vectors.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v"))
-    with_query = near.join(original.withColumnsRenamed({"_id": "_q", "_v": "_qv"}), F.col("query_id") == F.col("_q"))
-    paired = with_query.join(original, F.col("vec_id") == F.col("_id"))
-    squares = F.zip_with("_qv", "_v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    score = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return paired.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return candidates(filed, asked, model, by_cell, k)
