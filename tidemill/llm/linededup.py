@@ -1,10 +1,10 @@
 """Lines found in many documents, kept in levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs, holder), bucketed and sorted by the hash, so that a batch meets it in a
-merge join that shuffles the batch alone. A batch is anti-joined with every run: keys that no run holds take
-their holder (the largest doc_id) from this batch, keys already there add only their count. Its own run goes
-to level 0; ``fanout`` runs of a level are merged to one of the next. Batches come in descending doc_id order,
-so the first batch that holds a key has its largest doc_id.
+A run is a table of (h1, h2, n_docs, holder), bucketed and sorted by the hash, so that merge joins with it shuffle
+nothing. A batch is anti-joined with every run: the keys that no run holds are a new run of level 0, with their
+count and their holder, the largest doc_id of the batch. So a key is in one run alone, and as batches come in
+descending doc_id order, its holder there is its largest doc_id of all. Of the other keys only the counts are kept,
+in a delta. ``fanout`` runs, or deltas, of a level are merged to one of the next.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, lower_ascii, scratch, shuffle_partitions, stored
+from tidemill.llm.common import SPACES, lower_ascii, remove, scratch, shuffle_partitions, stored
 
 #: Two seeds give a line 128 bits: 64 would collide among the lines of 100 TB.
 SEEDS = (42, 7)
@@ -36,66 +36,93 @@ def line_keys(documents: DataFrame, min_chars: int) -> DataFrame:
     return exploded.select("doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(SEEDS[1]), "key").alias("h2"))
 
 
-class LineRuns:
-    """The runs of one corpus. Tables are bucketed into the warehouse, which the cluster shares.
+class Levels:
+    """Tables bucketed and sorted by (h1, h2); ``fanout`` of a level are merged to one of the next.
 
-    ``fanout`` runs of a level are compacted into one of the next, so that n batches leave O(fanout * log n) runs.
+    n additions leave O(fanout * log n) tables. A merge is a chain of full outer merge joins, bucket by bucket:
+    ``n_docs`` adds up, and a holder is that of the one table that has the key.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or shuffle_partitions(spark)
+    def __init__(self, spark: SparkSession, fanout: int, buckets: int):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.levels: list[list[str]] = [[]]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def add(self, rows: DataFrame, level: int = 0) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
-
-    def runs(self) -> list[str]:
-        return [name for level in self.levels for name in level]
-
-    def add(self, keys: DataFrame) -> None:
-        """Adds a batch of (doc_id, h1, h2), whose doc_ids are below those of every batch before."""
-        each = keys.select("h1", "h2", "doc_id").distinct()
-        own = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-        held = None
-        for name in self.runs():
-            own = own.join(self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"_{name}")), ["h1", "h2"], "left")
-            here = F.col(f"_{name}").isNotNull()
-            held = here if held is None else held | here
-        holder = F.col("holder") if held is None else F.when(~held, F.col("holder"))
-        self._write(own.select("h1", "h2", "n_docs", holder.alias("holder")), 0)
-        self._compact()
-
-    def _compact(self) -> None:
-        for level, names in enumerate(self.levels):
-            if len(names) >= self.fanout:
-                self._write(self._merged(names), level + 1)
-                for name in names:
-                    self.spark.sql(f"DROP TABLE {name}")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return name
+
+    def compact(self) -> None:
+        level = 0
+        while level < len(self.levels):
+            full = self.levels[level]
+            if len(full) >= self.fanout:
+                self.add(self.merged(full), level + 1)
                 self.levels[level] = []
+                _drop(self.spark, full)
+            level += 1
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """One run of several: full outer merge joins, bucket by bucket, with no shuffle."""
+    def merged(self, names: list[str]) -> DataFrame:
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            other = self.spark.table(name).withColumnsRenamed({"n_docs": "n", "holder": "h"})
-            both = rows.join(other, ["h1", "h2"], "full")
+            both = rows.join(self.spark.table(name).withColumnsRenamed({"n_docs": "n", "holder": "h"}), ["h1", "h2"], "full")
             total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))
-            rows = both.select("h1", "h2", total.alias("n_docs"), F.greatest("holder", "h").alias("holder"))
+            rows = both.select("h1", "h2", total.alias("n_docs"), F.coalesce("holder", "h").alias("holder"))
         return rows
 
+    def drop(self) -> None:
+        _drop(self.spark, self.names())
+        self.levels = [[]]
+
+
+def _drop(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+class LineRuns:
+    """The runs of one corpus and the deltas of their counts. Tables lie in the warehouse, which the cluster shares."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
+        buckets = buckets or shuffle_partitions(spark)
+        self.spark = spark
+        self.runs, self.deltas, self.batches = (Levels(spark, fanout, buckets) for _ in range(3))
+
+    def add(self, keys: DataFrame) -> None:
+        """Adds a batch of (doc_id, h1, h2), whose doc_ids are below those of every batch before."""
+        each = keys.select("h1", "h2", "doc_id").distinct()
+        batch = self.batches.add(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder")))
+        new = self.runs.add(self.unseen(self.spark.table(batch)))
+        if len(self.runs.names()) > 1:
+            known = self.spark.table(batch).join(self.spark.table(new), ["h1", "h2"], "left_anti")
+            self.deltas.add(known.select("h1", "h2", "n_docs", F.lit(None).cast("long").alias("holder")))
+        self.batches.drop()
+        self.runs.compact()
+        self.deltas.compact()
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose keys no run holds."""
+        for name in self.runs.names():
+            batch = batch.join(self.spark.table(name), ["h1", "h2"], "left_anti")
+        return batch
+
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, holder) of the keys that at least ``min_docs`` documents hold, over all runs."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder")
+        held = self.runs.merged(self.runs.names())
+        if self.deltas.names():
+            more = self.deltas.merged(self.deltas.names()).select("h1", "h2", F.col("n_docs").alias("n_more"))
+            held = held.join(more, ["h1", "h2"], "left").withColumn("n_docs", F.col("n_docs") + F.coalesce("n_more", F.lit(0)))
+        return held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder")
 
     def drop(self) -> None:
-        for name in self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.levels = [[]]
+        for tables in (self.runs, self.deltas, self.batches):
+            tables.drop()
 
 
 def _kept_lines(text: str, drops: set[tuple[int, int]], min_chars: int) -> tuple[int, list[str]]:
@@ -126,12 +153,15 @@ def find_repeats(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, b
     line_keys(documents, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     keys = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
-    for i in reversed(range(batches)):
-        runs.add(keys.where(F.col("batch") == i))
-    frequent = stored(runs.frequent(min_docs), "line-frequent")
-    runs.drop()
-    lost = keys.join(frequent, ["h1", "h2"]).where("doc_id <> holder")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")).withColumnRenamed("doc_id", "drop_id")
+    try:
+        for i in reversed(range(batches)):
+            runs.add(keys.where(F.col("batch") == i))
+        lost = keys.join(runs.frequent(min_docs), ["h1", "h2"]).where("doc_id <> holder")
+        drops = stored(lost.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("drops")), "line-drops")
+    finally:
+        runs.drop()
+    remove(spark, path)
+    return drops
 
 
 def line_dedup(documents: DataFrame, digest_only: bool = False, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
