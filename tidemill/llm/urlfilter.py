@@ -1,10 +1,11 @@
 """URL verdicts: rules where one fits, else trust and distrust carried along links between hosts.
 
-Distrust flows against the links: a host gets (1 - damping) of its own share of blocked pages and damping of the
-mean distrust of the hosts it links to. Trust flows with the links: a host gets (1 - damping) of its own share
-of allowed pages and damping of what the hosts that link to it pass on, each by its shares of links. Both are
-personalised PageRank, restarted at the seeds that the rules give. A host without links keeps its own. The
-verdict is one per host. DataFrame expressions only.
+Both are personalised PageRank over the links from one host to another. Trust starts at the hosts with allowed pages
+and follows links, shared out among the links of a host. Distrust starts at the hosts with blocked pages and goes
+against the links, shared out among the hosts that link to a host. A host's seed is the share of its pages that the
+rules allow, or block; scores are in these units, so that they add up to the sum of the seeds, and a host without
+links around it keeps its own. What arrives where no link leads on goes back to the seeds. The verdict is one per
+host. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ RULES = (
 )
 #: Hosts named by absolute and protocol-relative links.
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-_ANY_LINK = r"""(?i)href\s*=\s*["']?\s*[^"'\s<>#]"""
 
 
 def url_host(url: Column) -> Column:
@@ -48,54 +48,57 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, share): for each host with links, the share of them that go to each host; relative ones stay at home."""
-    found = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)), lambda x: lower_ascii(x))
-    total = F.regexp_count(F.coalesce("html", F.lit("")), F.lit(_ANY_LINK))
-    of_page = pages.select("host", found.alias("out"), total.alias("links"))
-    away = of_page.select(F.col("host").alias("src"), F.explode("out").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    home = of_page.groupBy(F.col("host").alias("src")).agg(F.sum(F.greatest(F.lit(0), F.col("links") - F.size("out"))).alias("n")).select("src", F.col("src").alias("dst"), "n")
-    counted = away.unionByName(home).where("n > 0").groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    sums = counted.groupBy(F.col("src").alias("_src")).agg(F.sum("n").alias("_all"))
-    return counted.join(sums, F.col("src") == F.col("_src")).select("src", "dst", (F.col("n") / F.col("_all")).alias("share"))
-
-
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settled: float = 1e-4) -> DataFrame:
+    """(src, dst, by_src, by_dst): links from a host to another, as shares of those that leave src and that reach dst."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))
+    away = pages.select(F.col("host").alias("src"), F.explode(found).alias("dst")).select("src", lower_ascii(F.col("dst")).alias("dst")).where("src <> dst")
+    counted = stored(away.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "url-links")
+    sums = lambda end: counted.groupBy(F.col(end).alias(f"_{end}")).agg(F.sum("n").alias(f"all_{end}"))
+    both = counted.join(sums("src"), F.col("src") == F.col("_src")).join(sums("dst"), F.col("dst") == F.col("_dst"))
+    return both.select("src", "dst", (F.col("n") / F.col("all_src")).alias("by_src"), (F.col("n") / F.col("all_dst")).alias("by_dst"))
+
+
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 150, settled: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) from stored tables (host, allowed, blocked: shares of its pages) and ``host_edges``.
 
-    Every round is written to the shared folder. Rounds end when no score moves by over ``settled``, or after
-    ``rounds``. Hosts that are only linked to have shares of zero.
+    Five rounds are one job, whose scores are written to the shared folder; the driver sees four numbers of it. Rounds
+    end when the last one moved the scores by ``settled`` of the seeds at most, all hosts taken together. Raises if
+    ``rounds`` are not enough. What is lost where no link leads on comes back by scaling at the end, which is the
+    same as giving it to the seeds in every round. Hosts that are only linked to have seeds of zero.
     """
     spark = hosts.sparkSession
-    linked = edges.select("src").distinct().withColumn("links", F.lit(True))
-    named = hosts.select("host", "allowed", "blocked").unionByName(edges.select(F.col("dst").alias("host"), F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked")))
-    nodes = stored(named.groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")).join(linked, F.col("host") == F.col("src"), "left").select("host", "allowed", "blocked", F.coalesce("links", F.lit(False)).alias("links")), "url-nodes")
-    scores, path = nodes.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust")), None
-    for _ in range(rounds):
-        to = edges.join(scores.select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("share") * F.col("distrust")).alias("d"))
-        by = edges.join(scores.select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("trust")).alias("t"))
-        joined = nodes.join(scores, "host").join(to, "host", "left").join(by, "host", "left")
-        distrust = F.when(F.col("links"), (1 - damping) * F.col("blocked") + damping * F.coalesce("d", F.lit(0.0))).otherwise(F.col("blocked"))
-        given = F.coalesce("t", F.lit(0.0)) + F.when(F.col("links"), 0.0).otherwise(F.col("trust"))
-        trust = (1 - damping) * F.col("allowed") + damping * given
-        moved = F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust")))
-        step = joined.select("host", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved"))
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct().select("host", F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
+    nodes = stored(hosts.select("host", "allowed", "blocked").unionByName(linked).groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")), "url-nodes")
+    seeds = [x or 0.0 for x in nodes.agg(F.sum("allowed"), F.sum("blocked")).first()]
+    step, path = nodes.select("*", *[((1 - damping) * F.col(c)).alias(n) for c, n in (("allowed", "trust"), ("blocked", "distrust"))]), None
+    for _ in range(0, rounds, 5):
+        for _ in range(5):
+            by = edges.join(step.select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("_by")).agg(F.sum(F.col("by_src") * F.col("trust")).alias("t"))
+            to = edges.join(step.select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("_to")).agg(F.sum(F.col("by_dst") * F.col("distrust")).alias("d"))
+            joined = step.join(by, F.col("host") == F.col("_by"), "left").join(to, F.col("host") == F.col("_to"), "left")
+            score = lambda seed, got: (1 - damping) * F.col(seed) + damping * F.coalesce(got, F.lit(0.0))
+            trust, distrust = score("allowed", "t"), score("blocked", "d")
+            moved = [F.abs(trust - F.col("trust")).alias("moved_t"), F.abs(distrust - F.col("distrust")).alias("moved_d")]
+            step = joined.select(*nodes.columns, trust.alias("trust"), distrust.alias("distrust"), *moved)
         new = scratch(spark, "url-scores")
         step.write.parquet(new)
         if path:
             remove(spark, path)
-        path, scores = new, spark.read.schema(step.schema).parquet(new).drop("moved")
-        most = spark.read.schema(step.schema).parquet(new).agg(F.max("moved")).first()[0]
-        if most is None or most <= settled:
-            break
-    return scores
+        path, step = new, spark.read.schema(step.schema).parquet(new)
+        *kept, moved_t, moved_d = [x or 0.0 for x in step.agg(F.sum("trust"), F.sum("distrust"), F.sum("moved_t"), F.sum("moved_d")).first()]
+        if moved_t <= settled * seeds[0] and moved_d <= settled * seeds[1]:
+            scale = [s / k if k else 0.0 for s, k in zip(seeds, kept)]
+            return step.select("host", *[(F.col(c) * x).alias(c) for c, x in zip(("trust", "distrust"), scale)])
+        step = step.drop("moved_t", "moved_d")
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 
-    The longest fitting rule decides. Else a host is blocked if its distrust reaches ``threshold`` and exceeds its
-    trust; a host without seeds around it, and the empty host of a null or malformed URL, are judged in the same
-    way, so they are allowed unless their own pages are blocked. Null html has no links. Repeated rows stay.
+    The longest fitting rule decides. Else a host is blocked if its distrust reaches ``threshold``, as that of a host
+    with this share of blocked pages and no links does, and exceeds its trust. A host without seeds around it is
+    allowed; the empty host of a null or malformed URL is judged like others. Null html has no links. Repeated rows
+    stay.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
