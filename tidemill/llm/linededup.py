@@ -156,7 +156,8 @@ def find_repeats(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, b
     try:
         for i in reversed(range(batches)):
             runs.add(keys.where(F.col("batch") == i))
-        lost = keys.join(runs.frequent(min_docs), ["h1", "h2"]).where("doc_id <> holder")
+        frequent = stored(runs.frequent(min_docs), "line-frequent")  # not bucketed, so that a very common key's rows can be split
+        lost = keys.join(frequent, ["h1", "h2"]).where("doc_id <> holder")
         drops = stored(lost.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("drops")), "line-drops")
     finally:
         runs.drop()
