@@ -2,6 +2,7 @@
 
 import collections
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -30,6 +31,14 @@ def test_rare_sources_reach_their_weight(spark, corpus):
     assert staged == counts
 
 
+def test_rare_sources_equal_the_sql(spark, corpus):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{corpus.removeprefix('file://')}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "source", "rate", "copies", "copy", "shuffle_key"]
+    want = sorted(duck.sql(queries.OP7_SQL).select(*columns).fetchall())
+    assert sorted(tuple(r) for r in queries.op7_mixing(spark, corpus).select(*columns).collect()) == want
+
+
 def test_large_means_are_poisson(spark):
     rows = [(i, "x" * 99, "few") for i in range(500)] + [(1000 + i, "x" * 99, "many") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -75,11 +75,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH RECURSIVE s AS (SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY source),
 t AS (SELECT sum(bytes)::BIGINT AS all_bytes, count(*)::DOUBLE AS all_weights FROM s),
-r AS (SELECT source, least(16.0::DOUBLE, 1.0::DOUBLE * all_bytes * 1.0::DOUBLE / all_weights / bytes) AS rate FROM s, t),
-c(source, rate, k, term, upto) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
-  UNION ALL SELECT source, rate, k + 1, term * rate / (k + 1), upto + term * rate / (k + 1) FROM c WHERE k < 63),
-u AS (SELECT doc_id, source, (('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM documents),
+q AS (SELECT source, 1.0::DOUBLE * all_bytes * 1.0::DOUBLE / all_weights / bytes AS rate FROM s, t),
+r AS (SELECT source, rate, greatest(1, ceil(rate / 16))::BIGINT AS draws, rate / greatest(1, ceil(rate / 16)) AS mean FROM q),
+c(source, rate, mean, k, term, upto) AS (
+  SELECT source, rate, mean, 0, exp(-mean), exp(-mean) FROM r
+  UNION ALL SELECT source, rate, mean, k + 1, term * mean / (k + 1), upto + term * mean / (k + 1) FROM c WHERE k < 63),
+j AS (SELECT doc_id, d.source, draws, unnest(range(1, draws + 1)) AS draw FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+u AS (SELECT doc_id, source, (('0x' || substr(md5(CASE WHEN draws = 1 THEN '0:' || doc_id::VARCHAR ELSE 'draw-0:' || doc_id::VARCHAR || ':' || draw::VARCHAR END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM j),
 n AS (SELECT u.doc_id, u.source, c.rate, count(*) FILTER (WHERE c.upto < u.x) AS copies
   FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id, u.source, c.rate),
 e AS (SELECT doc_id, source, rate, copies, unnest(range(0, copies)) AS copy FROM n WHERE copies > 0)
