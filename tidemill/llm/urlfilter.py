@@ -19,7 +19,7 @@ from tidemill.llm.common import lower_ascii, remove, scratch, stored
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
