@@ -1,27 +1,31 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memory of words.
 
 Both kinds of vocabulary below cut a text at white space before any merge, so a text's ids are those of its
-pieces, one after the other, and a piece met before is looked up. The pieces are chosen so that this is exact; other
-kinds of tokenizer, and texts where a cut would not be safe, are encoded whole.
+pieces, one after the other, and a piece met before is looked up. Pieces are cut and looked up for a block of texts
+at once, as Arrow arrays; only new ones reach Python. The cuts are chosen so that this is exact; other kinds of
+tokenizer encode a text whole, and where a cut would not be safe a piece is longer.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
+import string
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: ASCII punctuation but the apostrophe, which starts contractions.
-_MARKS = r"!-&(-/:-@\[-`{-~"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)")
-_SPACED = re.compile(rf"(\n?)( ?[{_LETTERS}]+)([{_MARKS}]*)")
-_PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: A word that is one piece to the model, after at most one white space that is a piece of its own.
+_PLAIN = {"word": re.compile(f"({_LETTERS})"), "byte": re.compile(f"[\n\t\r]?( ?{_LETTERS})"), "whole": re.compile("(?!)")}
+#: Last and last but one bytes of white space other than `[ \n\t\r]`, and of some other characters.
+_ODD_LAST = np.isin(np.arange(256), [0x0B, 0x0C, *range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+_ODD_BEFORE = np.isin(np.arange(256), [0xC2, 0x80, 0x81, 0x9A])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,14 +35,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def _large(kind: pa.DataType, offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"") if data is None else pa.py_buffer(data)])
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    if not len(array):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+
+
 class Encoder:
     """Encodes texts of one tokenizer file to packed little-endian ids, each text's own followed by ``end``.
 
-    ``width`` is 2 bytes where every id fits, else 4. ``remember`` bounds the memory of pieces; when it is full
-    it starts anew, which costs time and changes nothing.
+    ``width`` is 2 bytes where every id fits, else 4. ``remember`` bounds the memory of pieces, and 32 times it
+    their bytes; when it is full it starts anew, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, end: int | None = None, remember: int = 1_400_000):
+    def __init__(self, path: str, end: int | None = None, remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
@@ -47,13 +61,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
-        self.dtype = f"<u{self.width}"
-        self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
-        self.remember, self.memory = remember, {}
+        self.dtype, self.pack = f"<u{self.width}", "H" if self.width == 2 else "I"
+        self.end = None if end is None else pa.array([np.array([end], self.dtype).tobytes()], pa.large_binary())
         self.kind = self._kind(spec)
+        self.remember = 0 if self.kind == "whole" else remember
         self.model = self.tokenizer.model
-        self.pack = array("H" if self.width == 2 else "I")
         self.letters, self.by_bytes = _byte_letters(), "ByteLevel" in json.dumps(spec.get("pre_tokenizer"))
+        #: Punctuation that ends a word for certain: no apostrophe (contractions), nothing an added token is made of.
+        whole = "'" + "".join(t["content"] for t in spec.get("added_tokens") or [])
+        self.marks = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c not in whole])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -64,80 +84,105 @@ class Encoder:
             return "byte"
         return "whole"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _word(self, word: str) -> bytes:
         """Ids of a plain word, which is one piece to the vocabulary's model; byte-level ones spell bytes as letters."""
         if self.by_bytes:
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.pack.typecode, [t.id for t in self.model.tokenize(word)])
+            word = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.pack, [t.id for t in self.model.tokenize(word)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds pieces to the memory: those of a plain word and marks after it by their parts, the rest encoded alone."""
-        made, rest, bases, marks = {}, [], set(), {"\n"}
-        memory = self.memory
-        for piece in pieces:
-            if self.kind == "byte" and piece[-1].isspace() and piece[-1] not in " \n\t\r":
-                memory[piece] = None  # its text is encoded whole: a blank after other white space is no safe cut
+    def _learn(self, pieces: pa.Array) -> pa.Array:
+        """Ids of new pieces: those of plain words by the model alone, the rest by the tokenizer."""
+        pieces = pieces.to_numpy(zero_copy_only=False)
+        found: list[bytes | None] = [None] * len(pieces)
+        words: dict[str, bytes] = {}
+        rest, plain = [], _PLAIN[self.kind].fullmatch
+        breaks = dict(zip("\n\t\r", self._encoded(["\n", "\t", "\r"])))
+        for i, piece in enumerate(pieces):
+            m = plain(piece)
+            if not m:
+                rest.append(i)
                 continue
-            if self.kind == "word":
-                m = _PLAIN.fullmatch(piece)
-                parts = m and (m[1].lower(), m[2])
-            else:
-                m = _SPACED.fullmatch(piece)
-                parts = m and not (m[1] and m[2][0] == " ") and (m[1], m[2], m[3])
-            if parts:
-                made[piece] = parts
-                bases.add(parts[-2])
-                marks.add(parts[-1])
-            else:
-                rest.append(piece)
-        rest = [x for x in {*rest, *marks} if x and x not in memory]
-        memory.update(zip(rest, self._ids(rest)))
-        for base in bases:
-            if base not in memory:
-                memory[base] = self._word(base)
-        memory[""] = b""
-        for piece, parts in made.items():
-            memory[piece] = b"".join([memory[p] for p in parts])
-
-    def _pieces(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.kind == "word" else _PIECES.findall(text)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text with the end id; null is an empty text."""
-        if self.kind == "whole":
-            return [x + self.end for x in self._ids([t or "" for t in texts])]
-        if len(self.memory) > self.remember:
-            self.memory = {}
-        cut = [self._pieces(t or "") for t in texts]
-        unknown = set(itertools.chain.from_iterable(cut)) - self.memory.keys()
-        if unknown:
-            self._learn(unknown)
-        get, out = self.memory.__getitem__, []
-        for pieces, text in zip(cut, texts):
-            try:
-                ids = b"".join(map(get, pieces))
-            except TypeError:  # a piece marked as no safe cut
-                ids = self._ids([text or ""])[0]
-            out.append(ids + self.end)
-        return out
-
-    def encode_all(self, texts: list[str | None], at_once: int = 1_000_000):
-        """As ``encode``, in blocks of about ``at_once`` characters, so that a batch of long texts stays small in memory."""
-        block, size = [], 0
-        for text in texts:
-            block.append(text)
-            size += len(text or "")
-            if size >= at_once:
-                yield from self.encode(block)
-                block, size = [], 0
-        if block:
-            yield from self.encode(block)
+            word = m[1].lower() if self.kind == "word" else m[1]
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._word(word)
+            found[i] = ids if len(m[1]) == len(piece) else breaks[piece[0]] + ids
+        for i, ids in zip(rest, self._encoded([pieces[i] for i in rest])):
+            found[i] = ids
+        return pa.array(found, pa.large_binary())
+
+    def _encoded(self, texts: list[str], at_once: int = 1_000_000) -> Iterator[bytes]:
+        """Ids by the tokenizer, about ``at_once`` characters at a time, as its results take far more memory than ids."""
+        batch, size = [], 0
+        for i, text in enumerate(texts, 1):
+            batch.append(text)
+            size += len(text)
+            if size >= at_once or i == len(texts):
+                for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+                    yield np.array(e.ids, self.dtype).tobytes()
+                batch, size = [], 0
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of texts lying between ``bounds`` of ``data``, and where each text's begin among them.
+
+        Pieces begin at a text's start, at white space after other characters (which a word vocabulary drops), and at
+        a mark right after an ASCII letter. In a byte vocabulary a run of white space is one with its next character
+        in view, so it is not cut after other white space.
+        """
+        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        if self.kind == "whole" or not len(data):
+            return _large(pa.large_string(), np.append(starts, len(data)), data), np.searchsorted(starts, bounds)
+        blank = (data == 32) | (data == 10) | (data == 9) | (data == 13)
+        first = np.zeros(len(data), bool)
+        if self.kind == "word":
+            first[1:] = blank[:-1]
+            first[starts] = True
+            first &= ~blank
+        else:
+            first[1:] = blank[1:] & ~blank[:-1]
+            at = np.flatnonzero(first)
+            at = at[_ODD_LAST[data[at - 1]]]
+            first[at[(data[at - 1] < 0x20) | _ODD_BEFORE[data[at - 2]]]] = False
+            first[starts] = True
+        first[1:] |= self.marks[data[1:]] & ((data[:-1] | 32) - np.uint8(97) < 26)
+        places = np.flatnonzero(first)
+        index = np.searchsorted(places, bounds)
+        if self.kind == "word":
+            data, places = data[~blank], np.flatnonzero(first[~blank])
+        return _large(pa.large_string(), np.append(places, len(data)), data), index
+
+    def _block(self, texts: pa.Array) -> pa.Array:
+        offsets = _offsets(texts)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        pieces, index = self._cut(data, offsets - offsets[0])
+        if len(self.known) > self.remember or self.known.nbytes > 32 * self.remember:
+            self._forget()
+        found = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        self.ids = pa.concat_arrays([self.ids, self._learn(found.dictionary[len(self.known) :])])
+        rows = found.indices.to_numpy()[len(self.known) :]
+        self.known, table = found.dictionary, self.ids
+        if self.end is not None:
+            rows = np.insert(rows, index[1:], len(table))
+            table, index = pa.concat_arrays([table, self.end]), index + np.arange(len(index))
+        joined = table.take(pa.array(rows))
+        return _large(pa.large_binary(), _offsets(joined)[index], joined.buffers()[2])
+
+    def arrays(self, texts: pa.Array, at_once: int = 8_000_000) -> Iterator[pa.Array]:
+        """Packed ids of each text with the end id, in arrays of whole texts of about ``at_once`` bytes; null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets, at = _offsets(texts), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + at_once, "right")) - 1)
+            yield self._block(texts.slice(at, to - at))
+            at = to
+
+    def encode_all(self, texts: list[str | None] | pa.Array, at_once: int = 8_000_000) -> Iterator[bytes]:
+        """As ``arrays``, text by text."""
+        for block in self.arrays(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), at_once):
+            yield from block.to_pylist()
 
 
 _OPEN: dict[tuple[str, int | None], Encoder] = {}

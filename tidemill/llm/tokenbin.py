@@ -22,8 +22,6 @@ from tidemill.llm.common import shuffle_partitions
 from tidemill.llm.encoding import encoder
 from tidemill.llm.files import file_system, new_file, open_file
 
-_BATCH_BYTES = 8_000_000
-
 
 def encoded(documents: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
     """(doc_id, ids): the packed ids of every whole text, each with the end id; null is an empty text."""
@@ -31,27 +29,14 @@ def encoded(documents: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer, end)
         for batch in batches:
-            rows = iter(batch.column(0))
-            for ids in _blocks(tokens.encode_all([x.as_py() for x in batch.column(1)])):
-                head = pa.array([x.as_py() for x in itertools.islice(rows, len(ids))], pa.int64())
-                yield pa.RecordBatch.from_arrays([head, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for ids in tokens.arrays(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids.cast(pa.binary())], names=["doc_id", "ids"])
+                at += len(ids)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped, "doc_id long, ids binary")
 
 
-def _blocks(values: Iterator[bytes]) -> Iterator[list[bytes]]:
-    """Lists of about ``_BATCH_BYTES``, so that a batch of very long texts does not stand in memory at once."""
-    block, size = [], 0
-    for value in values:
-        block.append(value)
-        size += len(value)
-        if size >= _BATCH_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def _id_width(tokenizer: str, end: int | None) -> int:
     return encoder(tokenizer, end).width
 
