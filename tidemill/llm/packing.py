@@ -47,7 +47,7 @@ def pieces(documents: DataFrame, tokenizer: str, end: int | None, capacity: int)
         tokens = encoder(tokenizer, end)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, packed in zip(batch.column(0).to_pylist(), tokens.encode_all([x.as_py() for x in batch.column(1)])):
+            for doc, packed in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1))):
                 ids = np.frombuffer(packed, tokens.dtype).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 rows += [(doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
